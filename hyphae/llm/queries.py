@@ -1,0 +1,32 @@
+"""Queries of the training-data operators, with production parameters over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hyphae.llm.leaks import find_leaks
+from hyphae.llm.tokenizer import encode_corpus
+from hyphae.session import prepare
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_corpus(_table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"), exact=True).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"), min_similarity=0.8)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
+
+SQL: dict[str, str] = {}
