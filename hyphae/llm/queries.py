@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hyphae.llm.leaks import find_leaks
+from hyphae.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from hyphae.llm.tokenizer import encode_corpus
 from hyphae.session import prepare
 
@@ -15,6 +16,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_pairs(_table(spark, folder, "documents"), n=3, similarity=0.5)
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_classes(_table(spark, folder, "documents"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
@@ -27,6 +36,6 @@ def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"), min_similarity=0.8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
 
 SQL: dict[str, str] = {}
