@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hyphae.llm.leaks import find_leaks
 from hyphae.llm.neardup import near_duplicate_classes, near_duplicate_pairs
+from hyphae.llm.neighbours import most_similar
+from hyphae.llm.pieces import split_texts
 from hyphae.llm.tokenizer import encode_corpus
+from hyphae.llm.topn import top_of_group
+from hyphae.operators.changes import changed_per_run
 from hyphae.session import prepare
 
 
@@ -16,6 +20,26 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return top_of_group(_table(spark, folder, "edges")).select("source_id", "id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return changed_per_run(_table(spark, folder, "doc_feed"), _table(spark, folder, "ingest_runs"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return most_similar(_table(spark, folder, "vectors")).select("id", "neighbor_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_pieces(spark, folder).select("doc_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_texts(_table(spark, folder, "documents"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_pairs(_table(spark, folder, "documents"), n=3, similarity=0.5)
 
@@ -36,6 +60,6 @@ def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"), min_similarity=0.8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
 
 SQL: dict[str, str] = {}
