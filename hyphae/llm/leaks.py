@@ -1,10 +1,17 @@
 """Evaluation passages inside a training corpus.
 
-Every window of `window` words gets a 64-bit SimHash of its two-word shingles;
-the item side is cut into windows of the same size. Fingerprints within
-`radius` bits agree exactly in at least one of radius + 1 blocks, so looking
-each block up finds all of them. Candidates are verified by exact weighted
-shingle similarity, a shingle weighing more the fewer item windows hold it.
+Document and items are cut into windows of `window` words, which are compared
+by weighted similarity of their two-word shingles, a shingle weighing more the
+fewer item windows hold it. Candidates are found without loss: windows of
+similarity t have at least t of the weight of either in common. So a document
+window counts only if t of its weight is known to the items, and it shares one
+of the rarest shingles of the item window, those that together exceed 1 - t of
+its weight. A SimHash can't do that: windows of 12 words that share 10 of 11
+shingles differ in about 8 of 64 bits.
+
+Equal windows, and windows within an explicit `radius`, are found by a 64-bit
+SimHash: fingerprints within `radius` bits agree exactly in at least one of
+radius + 1 blocks, so looking each block up finds all of them.
 """
 
 from __future__ import annotations
@@ -109,6 +116,53 @@ class ItemIndex:
         i = np.minimum(np.searchsorted(self.known, shingle), len(self.known) - 1)
         return np.where(self.known[i] == shingle, self.weight[i], rare)
 
+    def rarest(self, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """(shingle, item window), sorted: the shingles of each window of which any window of similarity t shares one."""
+        p = np.sort(self.pairs, axis=1)
+        w = self.weigh(p)
+        w[:, 1:][p[:, 1:] == p[:, :-1]] = 0
+        by = np.argsort(-w, axis=1, kind="stable")
+        p, w = np.take_along_axis(p, by, 1), np.take_along_axis(w, by, 1)
+        left = np.cumsum(w[:, ::-1], axis=1)[:, ::-1]
+        i, k = np.nonzero((left >= t * (1 - 1e-9) * left[:, :1]) & (w > 0))
+        shingle = p[i, k]
+        by = np.argsort(shingle, kind="stable")
+        return shingle[by], i[by]
+
+    def sharing(self, p: np.ndarray, at: np.ndarray, t: float, rarest: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All (window of `at`, item window) that may have similarity t, each once."""
+        none = np.zeros(0, np.int64)
+        if not len(self.known) or not len(at):
+            return none, none
+        span = self.window - 1
+        k = np.minimum(np.searchsorted(self.known, p), len(self.known) - 1)
+        is_known = self.known[k] == p
+        total = np.concatenate(([0], np.cumsum(np.where(is_known, self.weight[k], 0))))
+        strange = np.concatenate(([0], np.cumsum(~is_known)))
+        known = total[at + span] - total[at]
+        unknown = (strange[at + span] - strange[at]) * np.log1p(max(1, len(self.prints)))
+        # windows that repeat an unknown shingle have less unknown weight than counted, so they stay
+        odd = np.flatnonzero(~is_known)
+        by = odd[np.argsort(p[odd], kind="stable")]
+        near = (p[by[1:]] == p[by[:-1]]) & (by[1:] - by[:-1] < span)
+        last = np.full(len(p) + 1, -1)
+        last[by[1:][near]] = by[:-1][near]
+        repeats = np.zeros(len(at), bool)
+        if near.any():
+            for x in range(span):
+                repeats |= last[at + x] >= at
+        d = np.flatnonzero((known > 0) & (repeats | (known >= t * (1 - 1e-9) * (known + unknown) - 1e-9)))
+        found = []
+        for lo in range(0, len(d), 5_000):
+            own = d[lo : lo + 5_000]
+            shingle = p[at[own][:, None] + np.arange(span)].ravel()
+            a, b = np.searchsorted(rarest[0], shingle, "left"), np.searchsorted(rarest[0], shingle, "right")
+            n = b - a
+            i = rarest[1][np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            found.append(np.unique(np.repeat(np.repeat(own, span), n) * len(self.prints) + i))
+        key = np.concatenate(found) if found else none
+        return key // len(self.prints), key % len(self.prints)
+
     def similarity(self, own: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Weight of common shingles over weight of all, window against window."""
         out = np.zeros(len(own))
@@ -122,12 +176,13 @@ class ItemIndex:
         return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 12, radius: int = 2, min_similarity: float = 0.8, exact: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 12, radius: int | None = None, min_similarity: float = 0.8, exact: bool = False) -> DataFrame:
     """(doc, item, windows, similarity): documents that hold passages of evaluation items.
 
     A row for each document and item with at least one pair of windows of
-    `window` words whose fingerprints differ in at most `radius` bits and whose
-    weighted shingle similarity is at least `min_similarity`; `windows` counts
+    `window` words whose weighted shingle similarity is at least
+    `min_similarity`; all such pairs are found, unless a `radius` leaves only
+    those whose fingerprints differ in at most so many bits. `windows` counts
     the document's windows that match, `similarity` is the best. With `exact` a
     pair counts only if all its words agree, in order. Null and empty texts and
     texts shorter than a window hold nothing; repeated rows count once (counts
@@ -138,7 +193,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     characters of items (or one item), so what travels doesn't grow with the
     items either.
     """
-    if not 2 <= window <= 127 or not 0 <= radius <= 15:
+    if not 2 <= window <= 127 or radius is not None and not 0 <= radius <= 15:
         raise ValueError("window must be 2 to 127 words, radius 0 to 15 bits")
     own = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
     size = own.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -151,13 +206,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
         rows = own.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect() if blocks > 1 else own.collect()
         rows.sort(key=lambda r: (str(r["item"]), r["text"]))
         ids = [r["item"] for r in rows]
-        index = ItemIndex.build(ids, [r["text"] for r in rows], window, radius)
-        part = corpus.mapInArrow(_scan(index, ids, schema, min_similarity, exact), schema)
+        index = ItemIndex.build(ids, [r["text"] for r in rows], window, 2 if radius is None else radius)
+        part = corpus.mapInArrow(_scan(index, ids, schema, min_similarity, exact, radius is None and not exact), schema)
         out = part if out is None else out.unionByName(part)
     return out.groupBy(id_col, item_id_col).agg(F.max("windows").alias("windows"), F.max("similarity").alias("similarity"))
 
 
-def _scan(index: ItemIndex, ids: list, schema: T.StructType, min_similarity: float, exact: bool):
+def _scan(index: ItemIndex, ids: list, schema: T.StructType, min_similarity: float, exact: bool, lossless: bool):
+    if lossless and min_similarity <= 0:
+        raise ValueError("min_similarity must be above 0 unless a radius is given")
+    rarest = index.rarest(min_similarity) if lossless and len(index.prints) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -171,7 +230,7 @@ def _scan(index: ItemIndex, ids: list, schema: T.StructType, min_similarity: flo
                 p, at = shingles(w), windows(w, index.window)
                 if not len(at):
                     continue
-                d, i = index.candidates(simhashes(p, at, index.window))
+                d, i = index.sharing(p, at, min_similarity, rarest) if lossless else index.candidates(simhashes(p, at, index.window))
                 if exact:
                     same = (w.hashes[at[d][:, None] + np.arange(index.window)] == index.words[i]).all(1)
                     d, i = d[same], i[same]
