@@ -10,6 +10,7 @@ from hyphae.llm.leaks import find_leaks
 from hyphae.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from hyphae.llm.neighbours import most_similar
 from hyphae.llm.pieces import split_texts
+from hyphae.llm.spam import spam_pages
 from hyphae.llm.tokenizer import encode_corpus
 from hyphae.llm.topn import top_of_group
 from hyphae.operators.changes import changed_per_run
@@ -60,6 +61,11 @@ def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"), min_similarity=0.8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return spam_pages(docs, docs.where("source = 'handbook'")).select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
