@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hyphae.llm.leaks import find_leaks
+from hyphae.llm.names import same_entities
 from hyphae.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from hyphae.llm.neighbours import most_similar
 from hyphae.llm.pieces import split_texts
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_entities(_table(spark, folder, "nodes"), _table(spark, folder, "entities"), _table(spark, folder, "given_forms"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_of_group(_table(spark, folder, "edges")).select("source_id", "id")
 
@@ -66,6 +71,6 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam_pages(docs, docs.where("source = 'handbook'")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
