@@ -14,7 +14,6 @@ from hyphae.llm.pieces import split_texts
 from hyphae.llm.spam import spam_pages
 from hyphae.llm.tokenizer import encode_corpus
 from hyphae.llm.topn import top_of_group
-from hyphae.operators.changes import changed_per_run
 from hyphae.session import prepare
 
 
@@ -30,10 +29,6 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_of_group(_table(spark, folder, "edges")).select("source_id", "id")
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return changed_per_run(_table(spark, folder, "doc_feed"), _table(spark, folder, "ingest_runs"))
-
-
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return most_similar(_table(spark, folder, "vectors")).select("id", "neighbor_id")
 
@@ -71,6 +66,9 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam_pages(docs, docs.where("source = 'handbook'")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
+
+_TOP = """SELECT source_id, id FROM (SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY v DESC, id) AS n FROM
+  (SELECT source_id, id, max(confidence + 0.0) AS v FROM edges WHERE source_id IS NOT NULL AND id IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 GROUP BY source_id, id)) WHERE n <= 3"""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_found": _TOP, "p5_found": "SELECT doc_id FROM documents WHERE length(text) > 4000"}
