@@ -150,7 +150,7 @@ _NEAR = f"""SELECT doc_id, other, score FROM (SELECT a.id AS doc_id, b.id AS oth
 
 def _ordered_vectors(spark, folder) -> DataFrame:
     v = table(spark, folder, "vectors")
-    return v.select("id", "embedding", F.regexp_extract("id", "[0-9]+$", 0).cast("long").alias("seq"))
+    return v.select("id", "embedding", F.regexp_extract("id", "[0-9]+$", 0).try_cast("long").alias("seq"))
 
 
 @query(f"WITH sound AS ({_SOUND}) SELECT doc_id, other, round(score, 6) AS score FROM ({_NEAR})")
