@@ -71,4 +71,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_f
 _TOP = """SELECT source_id, id FROM (SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY v DESC, id) AS n FROM
   (SELECT source_id, id, max(confidence + 0.0) AS v FROM edges WHERE source_id IS NOT NULL AND id IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 GROUP BY source_id, id)) WHERE n <= 3"""
 
-SQL: dict[str, str] = {"p2_found": _TOP, "p5_found": "SELECT doc_id FROM documents WHERE length(text) > 4000"}
+_SOUND = "SELECT id, any_value(embedding) AS e FROM vectors WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id"
+_NEAREST = f"""WITH s AS ({_SOUND}) SELECT id, neighbor_id FROM (SELECT a.id, b.id AS neighbor_id, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM s a, s b WHERE a.id <> b.id)
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbor_id) <= 5"""
+
+# DuckDB has no form NFKC: NFC with wide forms made narrow and ligatures taken apart stands in for it, by rule
+_WIDE, _NARROW = "".join(chr(0xFF01 + k) for k in range(94)), "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
+_FORM = f"replace(replace(replace(translate(nfc_normalize(text), '{_WIDE}', '{_NARROW}'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+_WORDS = rf"regexp_extract_all(lower(regexp_replace({_FORM}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}\x{{00AD}}]', '', 'g')), '[\p{{L}}\p{{N}}]+')"
+
+
+def _grams(table: str, key: str, n: int) -> str:
+    """(key, g): the different runs of n words of every text."""
+    return f"SELECT DISTINCT id, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM (SELECT {key} AS id, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL))"
+
+
+_PAIRS = f"""WITH g AS ({_grams("documents", "doc_id", 3)}), n AS (SELECT id, count(*) AS n FROM g GROUP BY id), c AS (SELECT a.id AS doc_a, b.id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
+SELECT doc_a, doc_b FROM c JOIN n x ON x.id = doc_a JOIN n y ON y.id = doc_b WHERE c * 2 >= x.n + y.n - c"""
+_LEAKED = f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM ({_grams('documents', 'doc_id', 12)}) d JOIN ({_grams('eval_items', 'item_id', 12)}) i USING (g)"
+
+SQL: dict[str, str] = {"p2_found": _TOP, "p4_found": _NEAREST, "p5_found": "SELECT doc_id FROM documents WHERE length(text) > 4000", "p6_found": _PAIRS, "p8_found": _LEAKED}
