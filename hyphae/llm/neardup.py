@@ -20,7 +20,9 @@ What keeps this small:
   differ are at most the grams in which the sets differ, which bounds the
   overlap from above before a pair leaves its fragment.
 
-Candidates are then checked exactly on their whole sets.
+The summed overlaps make the candidates: grams that can't be the first common
+ones of a pair aren't counted, so a sum is a lower bound. Candidates are then
+checked exactly on their whole sets.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hyphae.llm.textkernel import chunks, distinct_ngrams, mix64, normalise, words
-from hyphae.session import cores, drop_path, written
+from hyphae.session import cores, written
 
 _U = np.uint64
 GRAM_BITS = 40
@@ -111,31 +113,75 @@ class Join:
         return overlap * (self.p + self.q) >= self.p * together
 
 
-def _sketch_task(n: int):
+#: Buckets that a task holds before it counts them, and tasks whose sketches are added first.
+BUCKETS_HELD, TASKS_TOGETHER = 4_000_000, 64
+
+
+def _first_task(n: int, id_type: pa.DataType):
+    """Class of every text, and at the end the task's sketch in slices: one reading of the texts gives both."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << SKETCH_BITS, np.uint32)
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId() // TASKS_TOGETHER
+        count = np.zeros(1 << SKETCH_BITS, np.uint64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                count[:] += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.uint64)
+                held.clear()
+
+        def rows(ids: list, sigs: np.ndarray, slices: list, bodies: list) -> pa.RecordBatch:
+            a, b = len(ids), len(slices)
+            return pa.RecordBatch.from_arrays([pa.array([*ids, *[None] * b], id_type), pa.array([*sigs.tolist(), *[None] * b], pa.int64()), pa.array([*[None] * a, *slices], pa.int32()), pa.array([*[None] * a, *[task] * b], pa.int32()), pa.array([*[None] * a, *bodies], pa.binary())], names=["id", "sig", "slice", "task", "body"])
+
+        waiting = 0
         for batch in batches:
-            for *_, gram in gram_sets(batch, n):
-                count += np.bincount(buckets(gram, SKETCH_BITS), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            for names, size, sig, gram in gram_sets(batch, n):
+                held.append(buckets(gram, SKETCH_BITS).astype(np.int32))
+                waiting += len(gram)
+                if waiting >= BUCKETS_HELD:
+                    add()
+                    waiting = 0
+                real = np.flatnonzero(size)
+                yield rows([names[i] for i in real.tolist()], sig[real], [], [])
+        add()
         if count.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(count, SLICES)], pa.binary())], names=["slice", "body"])
+            yield rows([], np.zeros(0, np.int64), list(range(SLICES)), [zlib.compress(x.tobytes(), 1) for x in np.split(count, SLICES)])
 
     return run
 
 
-def _sum_slices(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(b.as_py()), np.uint32).astype(np.int64) for b in t.column("body"))
-    level = np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
+def _add_slices(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(b.as_py()), np.uint64) for b in t.column("body"))
+    return pa.table({"slice": t.column("slice")[:1], "body": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _level_slices(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(b.as_py()), np.uint64) for b in t.column("body"))
+    level = np.minimum(255, 8 * np.log2(1 + total.astype(np.float64))).astype(np.uint8)
     return pa.table({"slice": t.column("slice")[:1], "body": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary()), "grams": pa.array([int(total.sum())], pa.int64())})
 
 
-def gram_order(corpus: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """For every bucket of grams the logarithm of its count over the whole corpus, and the count of all grams."""
-    rows = corpus.mapInArrow(_sketch_task(n), "slice int, body binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, body binary, grams long").collect()
+def first_pass(corpus: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, int, str]:
+    """((id, sig), order, grams, folder): the class of every text of at least n words; for every bucket of grams the
+    logarithm of its count over the whole corpus; the count of all grams; and the shared folder that holds the first.
+
+    Sketches are added in two levels, so that what a task adds grows with the
+    square root of the number of tasks.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = corpus.schema["id"].dataType
+    out, path = written(corpus.mapInArrow(_first_task(n, to_arrow_type(kind)), f"id {kind.simpleString()}, sig long, slice int, task int, body binary"), "neardup-first")
+    part = out.where("slice is not null").select("slice", "task", "body").groupBy("slice", "task").applyInArrow(_add_slices, "slice int, body binary")
     level = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
-    for r in rows:
+    grams = 0
+    for r in part.groupBy("slice").applyInArrow(_level_slices, "slice int, body binary, grams long").collect():
         level[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["body"])), np.uint8)
-    return level.ravel(), sum(r["grams"] for r in rows)
+        grams += r["grams"]
+    return out.where("slice is null").select("id", "sig").distinct(), level.ravel(), grams, path
 
 
 def _postings_task(n: int, join: Join, order, fragments: int):
@@ -343,21 +389,10 @@ def _check_task(join: Join):
     return run
 
 
-def _light_task(n: int, id_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for names, size, sig, _ in gram_sets(batch, n):
-                real = np.flatnonzero(size)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in real.tolist()], id_type), pa.array(sig[real])], names=["id", "sig"])
-
-    return run
-
-
-def class_links(corpus: DataFrame, n: int, similarity: float) -> DataFrame:
+def class_links(corpus: DataFrame, n: int, similarity: float, level: np.ndarray, grams: int) -> DataFrame:
     """(sig_a, sig_b, similarity) for every two different n-gram sets that are similar enough."""
     spark = corpus.sparkSession
     join = Join(similarity)
-    level, grams = gram_order(corpus, n)
     order = spark.sparkContext.broadcast(level)  # 2**SKETCH_BITS bytes, whatever the corpus
     fragments = max(2 * cores(spark), -(-grams // (2 * FRAGMENT_POSTINGS)))
     postings = corpus.mapInArrow(_postings_task(n, join, order, fragments), "fragment int, body binary")
@@ -375,12 +410,11 @@ def _corpus(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
 
-def members(corpus: DataFrame, n: int) -> DataFrame:
-    """(id, sig): the class of every text of at least n words."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = corpus.schema["id"].dataType
-    return corpus.mapInArrow(_light_task(n, to_arrow_type(kind)), f"id {kind.simpleString()}, sig long").distinct()
+def _linked(corpus: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Members and links of all classes, each in the shared folder."""
+    light, level, grams, _ = first_pass(corpus, n)
+    links, _ = written(class_links(corpus, n, similarity, level, grams).select("sig_a", "sig_b"), "neardup-links")
+    return light, links
 
 
 def near_duplicate_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -392,8 +426,7 @@ def near_duplicate_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     repeated rows of one id and text count once. Other columns are ignored.
     """
     corpus = _corpus(docs, id_col, text_col)
-    light, _ = written(members(corpus, n), "neardup-members")
-    links, _ = written(class_links(corpus, n, similarity).select("sig_a", "sig_b"), "neardup-links")
+    light, links = _linked(corpus, n, similarity)
     a, b = (light.select(F.col("id").alias(f"doc_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     across = links.join(a, "sig_a").join(b, "sig_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).where("doc_a < doc_b")
     within = a.join(b, F.col("sig_a") == F.col("sig_b")).where("doc_a < doc_b").select("doc_a", "doc_b")
@@ -410,8 +443,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     from hyphae.operators.components import connected_components
 
     corpus = _corpus(docs, id_col, text_col)
-    light, _ = written(members(corpus, n), "neardup-members")
-    links, _ = written(class_links(corpus, n, similarity).select("sig_a", "sig_b"), "neardup-links")
+    light, links = _linked(corpus, n, similarity)
     degree = links.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
     classes = light.groupBy("sig").agg(F.min("id").alias("class_id"))
     root = connected_components(links.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")))
