@@ -41,3 +41,34 @@ def test_no_pair_of_windows_is_lost(spark, similarity):
             want[name, item] = hits, max(best, s[k])
     got = find_leaks(prepare(spark).createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), min_similarity=similarity).collect()
     assert {(r["doc_id"], r["item_id"]): (r["windows"], round(r["similarity"], 9)) for r in got} == {k: (len(h), round(b, 9)) for k, (h, b) in want.items()}
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_blocks_change_nothing(spark, exact):
+    docs, items = tables()
+    # shingles that many items share weigh little, also for an item in a block of its own
+    items += [(100 + k, items[0][1] + f" tail{k}") for k in range(20)]
+    d = prepare(spark).createDataFrame([*docs, (200, None), (201, ""), (100, docs[-1][1])], "doc_id long, text string")
+    i = spark.createDataFrame([*items, (900, None), (901, "too short"), items[0]], "item_id long, text string")
+    rows = lambda chars: {(r["doc_id"], r["item_id"]): (r["windows"], round(r["similarity"], 9)) for r in find_leaks(d, i, min_similarity=0.6, exact=exact, block_chars=chars).collect()}
+    whole = rows(20_000_000)
+    assert whole and rows(sum(len(t) for _, t in items) // 7) == whole
+    assert find_leaks(d.limit(0), i).count() == find_leaks(d, i.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_repeated_words_on_both_sides(exact):
+    import resource
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from hyphae.llm.leaks import _scan
+
+    index = ItemIndex.build([1, 2], ["spam " * 500, "other words of a second item that has more than twelve of them in all"], 12, 2)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("windows", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array(["spam " * 20_000])], names=["doc_id", "text"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = pa.Table.from_batches(_scan(index, [1, 2], schema, 0.8, exact, not exact)(iter([batch]))).to_pylist()
+    assert out == [{"doc_id": 7, "item_id": 1, "windows": 19_989, "similarity": 1.0}]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
