@@ -1,11 +1,13 @@
 """Long texts cut into overlapping pieces at the best places, by dynamic programming.
 
 A piece ends at an end of a paragraph, line, sentence or word, and the next one
-begins at such an end up to `overlap` characters before. Of all ways to cover
-the text the one of least cost is taken, where every piece costs PIECE and its
-end costs by its kind. Inside a word is far dearer than anything else, so it is
-cut only where no end is within reach. The windows of pieces that may come
-before an end move forward with it, so the cheapest is found in linear time.
+begins at such an end up to `overlap` characters before, or right there. Of all
+ways to cover the text the one of least cost is taken, where every piece costs
+PIECE, its end and its beginning cost by their kinds, and what it doesn't repeat
+of the overlap costs SHORT in full, less in part. Inside a word is far dearer
+than anything else, so it is cut or begun only where there is no other way. The
+windows of pieces that may come before an end, and of ends that may come before
+a beginning, move forward, so the cheapest are found in linear time.
 """
 
 from __future__ import annotations
@@ -15,14 +17,13 @@ import unicodedata
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = 0, 1, 2, 4, 100_000
-PIECE = 4
+PIECE = SHORT = 4
 _SPACE = re.compile(r"\s+")
 _LINE_END = re.compile("\r\n|[\n\r\u2028\u2029\x85\x0b\x0c]")
 _SENTENCE = re.compile(r"[.!?…؟।][\"'’”»)\]]*\Z")
@@ -52,45 +53,70 @@ def ends(text: str, size: int) -> tuple[list[int], list[int]]:
     return at, [cost[p] for p in at]
 
 
-def begin_after(end: int, at: np.ndarray, kind: np.ndarray, overlap: int) -> int:
-    """Where the piece after one that ends here begins: the first end of a word or more within `overlap` characters."""
-    lo, hi = np.searchsorted(at, (end - overlap, end))
-    for k in range(lo, hi):
-        if kind[k] < INSIDE:
-            return int(at[k])
-    return end - overlap
-
-
 def cut(text: str, size: int = 4_000, overlap: int = 200) -> list[tuple[int, int]]:
     """(start, end) of the pieces of a text; one piece if it isn't longer than `size`."""
     n = len(text)
     if n <= size:
         return [(0, n)] if n else []
     places, costs = ends(text, size)
-    at, kind = np.array(places), np.array(costs)
-    start = [begin_after(p, at, kind, overlap) for p in places]
-    best, before = [float("inf")] * len(places), [-1] * len(places)
-    window: deque[int] = deque()  # ends before, the cheapest first
-    ready = 0
-    for e, p in enumerate(places):
-        # an end is a possible predecessor once the piece after it is longer than twice the overlap
-        while ready < e and (start[ready] + 2 * overlap < p or p == n):
-            while window and best[window[-1]] >= best[ready]:
-                window.pop()
-            window.append(ready)
-            ready += 1
-        while window and start[window[0]] + size < p:
-            window.popleft()
-        if 2 * overlap < p <= size:
-            best[e] = PIECE + costs[e]
-        elif window and best[window[0]] < float("inf"):
-            best[e], before[e] = best[window[0]] + PIECE + costs[e], window[0]
-    out, e = [], len(places) - 1
-    if best[e] == float("inf"):
+    at, kind, last = [0, *places], [0, *costs], len(places)
+    unit, none = max(1, overlap), float("inf")  # costs are whole numbers of 1 / unit
+    begun = [0, *[none] * last]  # least cost of all before a piece that begins here
+    far = [none] * (last + 1)  # least of `begun` for a piece that ends here and is longer than the overlap
+    ended = [none] * (last + 1)  # cost with that piece, less SHORT for every character before its end
+    opened, before, closed = [-1] * (last + 1), [-1] * (last + 1), [-1] * (last + 1)
+    # windows, the cheapest (of `dear` the dearest) first: beginnings of long pieces, of short ones, ends, and `far` of these ends
+    long, short, finish, dear = deque(), deque(), deque(), deque()
+    ready, e = 0, 1
+    for s in range(1, last):
+        here = at[s]
+        while short and at[short[0]] < here - overlap:
+            short.popleft()
+        while short and begun[short[-1]] >= begun[s - 1]:
+            short.pop()
+        short.append(s - 1)
+        while e < last and at[e] <= here + overlap:
+            while at[ready] < at[e] - overlap:
+                while long and begun[long[-1]] >= begun[ready]:
+                    long.pop()
+                long.append(ready)
+                ready += 1
+            while long and at[long[0]] < at[e] - size:
+                long.popleft()
+            if long:
+                opened[e], far[e] = long[0], begun[long[0]]
+                ended[e] = far[e] + (PIECE + kind[e]) * unit - SHORT * at[e]
+            while finish and ended[finish[-1]] >= ended[e]:
+                finish.pop()
+            finish.append(e)
+            while dear and far[dear[-1]] <= far[e]:
+                dear.pop()
+            dear.append(e)
+            e += 1
+        while finish[0] < s:
+            finish.popleft()
+        while dear[0] < s:
+            dear.popleft()
+        whole = kind[s] * unit + SHORT * (overlap + here)
+        begun[s], before[s], closed[s] = ended[finish[0]] + whole, opened[finish[0]], finish[0]
+        # a piece no longer than the overlap is worth it only if its beginning is cheaper than those further off
+        if begun[short[0]] < far[dear[0]]:
+            r, least = s, -1
+            for k in range(e - 1, s - 1, -1):
+                # the later the end, the fewer beginnings are within the overlap of it
+                while r > 0 and at[r - 1] >= at[k] - overlap:
+                    r -= 1
+                    if least < 0 or begun[r] < begun[least]:
+                        least = r
+                if least >= 0 and (cost := begun[least] + (PIECE + kind[k]) * unit - SHORT * at[k] + whole) < begun[s]:
+                    begun[s], before[s], closed[s] = cost, least, k
+    s = min((k for k in range(last) if at[k] >= n - size), key=lambda k: (begun[k], k))
+    if begun[s] == none:
         raise RuntimeError("no cover found")
-    while e >= 0:
-        out.append((start[before[e]] if before[e] >= 0 else 0, places[e]))
-        e = before[e]
+    out = [(at[s], n)]
+    while s:
+        out.append((at[before[s]], at[closed[s]]))
+        s = before[s]
     return out[::-1]
 
 

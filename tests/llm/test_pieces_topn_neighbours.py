@@ -1,8 +1,9 @@
 """Brute-force fixtures of the operators for p2, p4, p5: nulls, NaN, ties, repeated rows, hubs, empty tables."""
 
+import heapq
 import random
 
-from hyphae.llm.pieces import cut, split_texts
+from hyphae.llm.pieces import PIECE, SHORT, cut, ends, split_texts
 from hyphae.llm.topn import top_of_group
 from hyphae.session import prepare
 
@@ -78,3 +79,57 @@ def test_p4_most_similar(spark):
     for i in [f"same{k}" for k in range(9)] + [f"far{k}" for k in range(5)]:
         assert {p for p in got if p[0] == i} == {p for p in want if p[0] == i}
     assert most_similar(df.limit(0)).count() == 0
+
+
+def _cost(text, parts, size, overlap):
+    """What cut() makes least: pieces, kinds of ends and beginnings, and overlap that isn't used."""
+    kind, unit = dict(zip(*ends(text, size))), max(1, overlap)
+    cost = PIECE * unit * len(parts) + sum(kind[b] * unit for _, b in parts)
+    return cost + sum(kind[c] * unit + SHORT * (overlap - (b - c)) for (_, b), (c, _) in zip(parts, parts[1:]))
+
+
+def _least(text, size, overlap):
+    """Least cost of all covers, by Dijkstra's search over all beginnings and ends."""
+    places, costs = ends(text, size)
+    kind, unit, n = dict(zip(places, costs)), max(1, overlap), len(text)
+    heap, done = [(0, 0)], set()
+    while heap:
+        cost, a = heapq.heappop(heap)
+        if a == n:
+            return cost
+        if a in done:
+            continue
+        done.add(a)
+        for b in places:
+            if a < b <= a + size:
+                if b == n:
+                    heapq.heappush(heap, (cost + (PIECE + kind[b]) * unit, n))
+                for c in places:
+                    if b - overlap <= c <= b < n and c != a:
+                        heapq.heappush(heap, (cost + (PIECE + kind[b] + kind[c]) * unit + SHORT * (overlap - (b - c)), c))
+    return None
+
+
+def test_p5_least_cost():
+    rng = random.Random(5)
+    for size, overlap in [(40, 6), (40, 0), (60, 10), (90, 15)]:
+        for _ in range(60):
+            words = ["ab ", "c. ", "long word. ", "\n", "\n\n", "x" * (size - rng.randrange(12)) + " ", "y" * rng.randrange(1, 2 * size), "。", "á ", " " * rng.randrange(1, size)]
+            text = "".join(rng.choices(words, [9, 3, 4, 1, 1, 1, 1, 1, 2, 1], k=rng.randrange(10, 60)))
+            parts = cut(text, size, overlap)
+            if len(text) <= size:
+                continue
+            assert parts[0][0] == 0 and parts[-1][1] == len(text) and all(0 < b - a <= size for a, b in parts)
+            assert all(a < c <= b < d and b - c <= overlap for (a, b), (c, d) in zip(parts, parts[1:]))
+            assert _cost(text, parts, size, overlap) == _least(text, size, overlap)
+
+
+def test_p5_begins_inside_no_word():
+    # no word ends in the last 200 characters of the first piece, and the middle one is short
+    text = "x" * 3990 + " " + "y" * 300 + " " + "z" * 3990
+    assert cut(text) == [(0, 3991), (3991, 4292), (4292, 8282)]
+    text = "x" * 3990 + "\n\n" + "Few words here. " * 5 + "\n\n" + "z" * 3990
+    assert all(a == 0 or text[a - 1].isspace() for a, _ in cut(text)) and all(b == len(text) or text[b - 1].isspace() for _, b in cut(text))
+    # a sentence to begin with is worth a few repeated words
+    prose = "Some ten words make one sentence of middle length here. " * 200
+    assert all(a == 0 or prose[a - 2] == "." for a, _ in cut(prose))
